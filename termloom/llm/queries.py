@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import termcounts, termweights, topn
+from termloom.llm import formdup, neardup, termcounts, termweights, topn
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,17 +31,44 @@ def p2_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return termcounts.term_frequencies(_table(spark, d, "index_docs"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = neardup.near_pairs(_table(spark, d, "index_docs"), shingle=3, threshold=0.6)
+    return pairs.select(F.col("a").alias("ordinal_a"), F.col("b").alias("ordinal_b"))
+
+
+def p3_near_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_classes(_table(spark, d, "index_docs")).withColumnRenamed("id", "ordinal")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     hits = _table(spark, d, "search_results").where("score > 0")
     return topn.top_n(hits, 10).select("query_id", "rank_no", "doc_id")
 
 
+def p4_top_segments(spark: SparkSession, d: str) -> DataFrame:
+    return topn.top_n(_table(spark, d, "search_results"), 3, item="segment_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    copies = formdup.form_copies(_table(spark, d, "index_docs"))
+    return copies.select(F.col("kept").alias("kept_ordinal"), F.col("copy").alias("copy_ordinal"))
+
+
+def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return formdup.collapse(_table(spark, d, "index_docs").select("ordinal", "doc_id", "text")).select("ordinal", "doc_id", "copies")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_log_entropy": p1_log_entropy,
     "p2_found": p2_found,
     "p2_frequencies": p2_frequencies,
+    "p3_found": p3_found,
+    "p3_near_groups": p3_near_groups,
     "p4_found": p4_found,
+    "p4_top_segments": p4_top_segments,
+    "p5_found": p5_found,
+    "p5_collapsed": p5_collapsed,
 }
 
 _USABLE = """
@@ -84,4 +111,10 @@ WITH best AS (
   WHERE score IS NOT NULL AND NOT isnan(score) AND score > 0 AND doc_id IS NOT NULL AND query_id IS NOT NULL GROUP BY query_id, doc_id)
 SELECT query_id, CAST(r AS INT) AS rank_no, doc_id FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM best) WHERE r <= 10""",
+    "p4_top_segments": """
+WITH best AS (
+  SELECT query_id, segment_id, max(score) AS score FROM search_results
+  WHERE score IS NOT NULL AND NOT isnan(score) AND segment_id IS NOT NULL AND query_id IS NOT NULL GROUP BY query_id, segment_id)
+SELECT query_id, CAST(r AS INT) AS rank_no, segment_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) AS r FROM best) WHERE r <= 3""",
 }
