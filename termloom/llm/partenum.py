@@ -17,7 +17,7 @@ Two kinds of partitioning, chosen per size band by :func:`plan`:
   rarest first, by counters over the whole collection, which keeps signatures selective; any
   order is correct.
 
-Candidates are cut down by exact bounds (sizes, Hamming distance of 256-bit parity maps) before
+Candidates are cut down by exact bounds (sizes, Hamming distance of 128-bit parity maps) before
 any set is fetched, then verified on the full sets.
 """
 
@@ -131,8 +131,8 @@ class Signatures:
 
 
 def parity_map(features: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the features hashed to it, as four signed integers."""
-    bits = np.bincount((features & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """128 bits, each the parity of the features hashed to it, as two signed integers."""
+    bits = np.bincount((features & np.uint64(127)).astype(np.int64), minlength=128) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -175,31 +175,39 @@ def rarity_table(sets: DataFrame) -> bytes:
     return table.tobytes()
 
 
-TOKEN_SCHEMA = "token bigint, id bigint, size int, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
-_MAP = ["b0", "b1", "b2", "b3"]
+TOKEN_SCHEMA = "token bigint, id bigint, size int, b0 bigint, b1 bigint"
+_MAP = ["b0", "b1"]
 
 
-def signatures(sets: DataFrame, threshold: float, rarity: bytes, other: bytes | None = None) -> DataFrame:
+def signatures(sets: DataFrame, threshold: float, rarity: bytes, batch: bytes | None = None, *, all_features: bool = False) -> DataFrame:
     """(id, features) -> one row per signature, with the set's size and parity map.
 
-    ``rarity``: table over everything.  ``other``: table over the sets to be met, if those are
-    not all; a feature absent there can't be shared.
+    ``rarity``: counters over the collection, which give the order.  A feature that these count
+    once occurs in no second set and gives no signature; with ``batch``, counters over new sets
+    that are not yet in the collection, a feature is dropped if the collection lacks it and the
+    new sets hold it once.  ``all_features``: drop none, as sets still unknown may hold them.
     """
     sc = sets.sparkSession.sparkContext
     order = sc.broadcast(rarity)
-    met = sc.broadcast(other) if other is not None else None
+    fresh = sc.broadcast(batch) if batch is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Signatures(threshold)
         levels = np.frombuffer(order.value, dtype=np.uint8)
-        present = np.frombuffer(met.value, dtype=np.uint8) if met is not None else None
+        among_new = np.frombuffer(fresh.value, dtype=np.uint8) if fresh is not None else None
         for batch in batches:
             tokens, counts, ids, sizes, maps = [], [], [], [], []
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 features = np.frombuffer(data, dtype=np.uint64)
                 at = (features >> _SHIFT).astype(np.int64)
                 level = levels[at]
-                own = make.of(features, level, level > 1 if present is None else present[at] > 0)
+                if all_features:
+                    shared = np.ones(len(features), dtype=bool)
+                elif among_new is None:
+                    shared = level > 1
+                else:
+                    shared = (level > 0) | (among_new[at] > 1)
+                own = make.of(features, level, shared)
                 tokens.append(own)
                 counts.append(len(own))
                 ids.append(i)
@@ -213,7 +221,7 @@ def signatures(sets: DataFrame, threshold: float, rarity: bytes, other: bytes |
                     pa.array(np.concatenate(tokens).view(np.int64)),
                     pa.array(np.repeat(np.array(ids, dtype=np.int64), counts)),
                     pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts)),
-                    *(pa.array(np.ascontiguousarray(maps_[:, c])) for c in range(4)),
+                    *(pa.array(np.ascontiguousarray(maps_[:, c])) for c in range(2)),
                 ],
                 names=["token", "id", "size", *_MAP],
             )
@@ -221,6 +229,32 @@ def signatures(sets: DataFrame, threshold: float, rarity: bytes, other: bytes |
     return sets.select("id", "features").mapInArrow(run, TOKEN_SCHEMA)
 
 
+def meeting(signed: DataFrame, tokens: DataFrame, bits: int = 24) -> DataFrame:
+    """The rows of ``signed`` whose token may occur in ``tokens``, by a bitmap of fixed size
+    (2 MB): cheap to broadcast, and what it lets through wrongly, the join drops."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(1 << bits, dtype=bool)
+        for batch in batches:
+            bitmap[(mix64(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)] = True
+        blocks = bitmap.reshape(-1, 1 << 17)
+        used = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([np.packbits(blocks[b]).tobytes() for b in used], pa.binary())], names=["block", "counts"])
+
+    table = np.zeros((1 << bits >> 17, 1 << 14), dtype=np.uint8)
+    for row in tokens.select("token").mapInArrow(mark, "block int, counts binary").toLocalIterator():
+        table[row.block] |= np.frombuffer(row.counts, dtype=np.uint8)
+    known = signed.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.unpackbits(np.frombuffer(known.value, dtype=np.uint8)).view(bool)
+        for batch in batches:
+            at = (mix64(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+            yield batch.filter(pa.array(bitmap[at]))
+
+    return signed.select("token", "id", "size", *_MAP).mapInArrow(keep, TOKEN_SCHEMA)
+
+
 def _near_enough(a: DataFrame, b: DataFrame, g: Fraction) -> Column:
     """Exact bounds: sizes within the ratio g, and parity maps within the Hamming distance."""
     n, d = g.numerator, g.denominator
@@ -246,7 +280,7 @@ def _overlaps(g: Fraction):
     return run
 
 
-def _within(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+def within(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     """Semi or anti join with a list of ids, broadcast only if its size is checked."""
     ids = ids.select(F.col(ids.columns[0]).alias(column))
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
@@ -258,35 +292,36 @@ def distinct_sets(profiles: DataFrame) -> DataFrame:
     light = held.select("id", "s1", "s2")
     first = light.groupBy("s1", "s2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     spare = cut(light.join(first, ["s1", "s2"]).where("id > first").select("id"))
-    return _within(held.select("id", "features"), spare, "id", "left_anti")
+    return within(held.select("id", "features"), spare, "id", "left_anti")
 
 
-def similar_sets(profiles: DataFrame, threshold: float, new_from: int | None = None) -> DataFrame:
-    """(a, b): ids of distinct sets with Jaccard similarity of at least ``threshold``, a < b.
+def meet(left: DataFrame, right: DataFrame, threshold: float, different) -> DataFrame:
+    """(a, b): ids that share a signature and pass the exact bounds, a < b, each pair once.
 
-    ``profiles`` is a stored table (id, s1, s2, features); ids are unique.  With ``new_from``,
-    only pairs with an id of at least ``new_from`` among them are looked for.
+    ``different(x, y)`` tells which ids of the left and right side are to be compared.
     """
-    g = fraction(threshold)
-    sets = distinct_sets(profiles)
-    held = profiles.where("features is not null")
-    rarity = rarity_table(held)
-    if new_from is None:
-        left = right = store(signatures(sets, threshold, rarity), "signatures")
-    else:
-        new, old = sets.where(F.col("id") >= new_from), sets.where(F.col("id") < new_from)
-        met = rarity_table(held.where(F.col("id") >= new_from))
-        left = store(signatures(new, threshold, rarity), "signatures")
-        right = left.unionByName(signatures(old, threshold, rarity, met))
-    a, b = left, right.select(*[F.col(c).alias(f"y_{c}") for c in right.columns])
-    different = a["id"] < b["y_id"]
-    if new_from is not None:
-        different |= b["y_id"] < new_from
-    met_once = a.join(b, (a["token"] == b["y_token"]) & different & _near_enough(a, b, g))
-    candidates = cut(met_once.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct())
+    right = right.select(*[F.col(c).alias(f"y_{c}") for c in right.columns])
+    shared = (left["token"] == right["y_token"]) & different(left["id"], right["y_id"])
+    met = left.join(right, shared & _near_enough(left, right, fraction(threshold)))
+    return cut(met.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct())
+
+
+def verified(candidates: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
+    """The candidate pairs whose full sets are similar enough; ``features``: (id, features)."""
     wanted = candidates.select("a").union(candidates.select("b")).distinct()
-    features = _within(held.select("id", "features"), wanted, "id", "left_semi")
+    features = within(features, wanted, "id", "left_semi")
     pairs = candidates.join(features.select(F.col("id").alias("a"), F.col("features").alias("fa")), "a").join(
         features.select(F.col("id").alias("b"), F.col("features").alias("fb")), "b"
     )
-    return pairs.select("a", "b", "fa", "fb").mapInArrow(_overlaps(g), "a bigint, b bigint")
+    return pairs.select("a", "b", "fa", "fb").mapInArrow(_overlaps(fraction(threshold)), "a bigint, b bigint")
+
+
+def similar_sets(profiles: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): ids of distinct sets with Jaccard similarity of at least ``threshold``, a < b.
+
+    ``profiles`` is a stored table (id, s1, s2, features); ids are unique.
+    """
+    held = profiles.where("features is not null")
+    signed = store(signatures(distinct_sets(profiles), threshold, rarity_table(held)), "signatures")
+    candidates = meet(signed, signed, threshold, lambda x, y: x < y)
+    return verified(candidates, held.select("id", "features"), threshold)

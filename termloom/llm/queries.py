@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import formdup, neardup, termcounts, termweights, topn
+from termloom.llm import formdup, history, neardup, termcounts, termweights, topn
+from termloom.plans.lineage import shared_dir
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -58,6 +61,12 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return formdup.collapse(_table(spark, d, "index_docs").select("ordinal", "doc_id", "text")).select("ordinal", "doc_id", "copies")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    known = history.History.create(spark, path, _table(spark, d, "index_docs"), "ordinal", "doc_id", "text", shingle=3, threshold=0.6)
+    return known.check(_table(spark, d, "incoming_docs"))[0]
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_log_entropy": p1_log_entropy,
@@ -69,6 +78,7 @@ QUERIES = {
     "p4_top_segments": p4_top_segments,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
+    "p7_found": p7_found,
 }
 
 _USABLE = """
