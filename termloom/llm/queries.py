@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import formdup, history, neardup, termcounts, termweights, topn
+from termloom.llm import formdup, history, neardup, sentences, splitting, termcounts, termweights, topn
 from termloom.plans.lineage import shared_dir
 
 
@@ -61,12 +61,26 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return formdup.collapse(_table(spark, d, "index_docs").select("ordinal", "doc_id", "text")).select("ordinal", "doc_id", "copies")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = splitting.split_oversized(_table(spark, d, "index_docs"))
+    return splitting.forced_texts(pieces).withColumnRenamed("id", "ordinal")
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(_table(spark, d, "index_docs")).withColumnRenamed("id", "ordinal")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
     known = history.History.create(spark, path, _table(spark, d, "index_docs"), "ordinal", "doc_id", "text", shingle=3, threshold=0.6)
     return known.check(_table(spark, d, "incoming_docs"))[0]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    units = sentences.sentences(_table(spark, d, "documents"))
+    return units.select(F.col("id").alias("doc_id"), "start_pos", "end_pos")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_log_entropy": p1_log_entropy,
@@ -78,7 +92,10 @@ QUERIES = {
     "p4_top_segments": p4_top_segments,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
     "p7_found": p7_found,
+    "p10_found": p10_found,
 }
 
 _USABLE = """
@@ -127,4 +144,10 @@ WITH best AS (
   WHERE score IS NOT NULL AND NOT isnan(score) AND segment_id IS NOT NULL AND query_id IS NOT NULL GROUP BY query_id, segment_id)
 SELECT query_id, CAST(r AS INT) AS rank_no, segment_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) AS r FROM best) WHERE r <= 3""",
+    "p6_found": r"""
+WITH long AS (
+  SELECT ordinal, regexp_extract_all(text,
+    '[^ \t\n\r\x0B\f\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}.!?。！？।؟…]+') AS runs
+  FROM index_docs WHERE length(text) > 2000)
+SELECT ordinal, CAST(coalesce(list_max(list_transform(runs, x -> length(x))), 0) > 2000 AS INT) AS forced FROM long""",
 }
