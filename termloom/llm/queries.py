@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import formdup, history, neardup, sentences, splitting, termcounts, termweights, topn
+from termloom.llm import formdup, history, mixing, neardup, packing, sentences, splitting, termcounts, termweights, topn
 from termloom.plans.lineage import shared_dir
 
 
@@ -76,6 +76,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return known.check(_table(spark, d, "incoming_docs"))[0]
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_table(spark, d, "documents"), _table(spark, d, "pack_sizes"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, d))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mixture(_table(spark, d, "documents"), _table(spark, d, "mix_targets")).chosen()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mixture(_table(spark, d, "documents"), _table(spark, d, "mix_targets")).shares()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     units = sentences.sentences(_table(spark, d, "documents"))
     return units.select(F.col("id").alias("doc_id"), "start_pos", "end_pos")
@@ -95,6 +111,10 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
 }
 
@@ -149,5 +169,5 @@ WITH long AS (
   SELECT ordinal, regexp_extract_all(text,
     '[^ \t\n\r\x0B\f\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}.!?。！？।؟…]+') AS runs
   FROM index_docs WHERE length(text) > 2000)
-SELECT ordinal, CAST(coalesce(list_max(list_transform(runs, x -> length(x))), 0) > 2000 AS INT) AS forced FROM long""",
+SELECT ordinal, CAST(coalesce(list_max(list_transform(runs, lambda x: length(x))), 0) > 2000 AS INT) AS forced FROM long""",
 }
