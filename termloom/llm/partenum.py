@@ -39,6 +39,8 @@ from termloom.plans.lineage import cut, store
 #: counters of the rarity order: 2 to this power, one byte each in a task
 COUNTER_BITS = 23
 _BLOCK = 1 << 14
+#: below this threshold only the finest partitioning is used
+COARSE_FROM = Fraction(3, 4)
 #: fewest expected features per signature, and most signatures per set and band, for ``parts``
 LEAST_FEATURES, MOST_SIGNATURES = 4, 128
 #: id lists up to this many rows are broadcast
@@ -65,6 +67,8 @@ def bands(largest: int, g: Fraction) -> list[int]:
 
 def plan(upper: int, g: Fraction) -> tuple[int, int, int] | None:
     """(n1, n2, k2) of a band of sizes up to ``upper``; None for the finest partitioning."""
+    if g < COARSE_FROM:
+        return None
     k = int((1 - g) / (1 + g) * 2 * upper)
     best = None
     for k2 in range(1, 4):
@@ -295,15 +299,34 @@ def distinct_sets(profiles: DataFrame) -> DataFrame:
     return within(held.select("id", "features"), spare, "id", "left_anti")
 
 
+def _enough_shared(g: Fraction) -> Column:
+    """Exact bound on ``shared``, the signatures two sets have in common, if all are finest.
+
+    Of the features that two sets share, those in both enumerations are counted; the others lie
+    behind the enumeration that ends first in the common order, so they are at most as many as
+    that set has left.
+    """
+    n, d = g.numerator, g.denominator
+    left = [f"({c} * {n} + {d - 1}) div {d} - 1" for c in ("sa", "sb")]  # size less what is enumerated
+    needed = f"((sa + sb) * {n} + {n + d - 1}) div {n + d}"
+    return F.expr(f"shared + greatest({left[0]}, {left[1]}) >= {needed}")
+
+
 def meet(left: DataFrame, right: DataFrame, threshold: float, different) -> DataFrame:
-    """(a, b): ids that share a signature and pass the exact bounds, a < b, each pair once.
+    """(a, b): ids that share enough signatures and pass the exact bounds, a < b, each pair once.
 
     ``different(x, y)`` tells which ids of the left and right side are to be compared.
     """
+    g = fraction(threshold)
     right = right.select(*[F.col(c).alias(f"y_{c}") for c in right.columns])
     shared = (left["token"] == right["y_token"]) & different(left["id"], right["y_id"])
-    met = left.join(right, shared & _near_enough(left, right, fraction(threshold)))
-    return cut(met.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct())
+    met = left.join(right, shared & _near_enough(left, right, g))
+    pairs = met.groupBy(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.max("size").cast("bigint").alias("sa"), F.max("y_size").cast("bigint").alias("sb")
+    )
+    if g < COARSE_FROM:
+        pairs = pairs.where(_enough_shared(g))
+    return cut(pairs.select("a", "b"))
 
 
 def verified(candidates: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
