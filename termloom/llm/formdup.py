@@ -12,13 +12,12 @@ from termloom.llm import profiles
 from termloom.plans.lineage import cut
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of the second texts that are not the same in form as the first ones."""
     for batch in batches:
-        kept, copy, a, b = (batch.column(c).to_pylist() for c in range(4))
-        good = [profiles.same_in_form(x, y) for x, y in zip(a, b, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([v for v, ok in zip(c, good, strict=True) if ok], pa.int64()) for c in (kept, copy)], names=["kept", "copy"]
-        )
+        ids, a, b = (batch.column(c).to_pylist() for c in range(3))
+        bad = [i for i, x, y in zip(ids, a, b, strict=True) if not profiles.same_in_form(x, y)]
+        yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], names=["id"])
 
 
 def form_classes(forms: DataFrame) -> DataFrame:
@@ -51,8 +50,10 @@ def form_copies(docs: DataFrame, id_col: str = "ordinal", text_col: str = "text"
 
     Texts are the same in form when the letters and digits of their folded texts agree in order,
     or when both are made of labelled fields and agree in the multiset of (name, value) pairs.
-    Pairs found by fingerprint are verified against the texts; a row whose fingerprints collide
-    by chance stays a record of its own.
+    Both relations join: a text that agrees in letters with one labelled text is in the class of
+    all its orders.  Every link of a class is verified on the texts, rows against the first row
+    with equal letters and labelled rows against the first one with equal fields; rows whose
+    fingerprints collide by chance stay records of their own.
 
     Null, empty and letterless texts are never copies.  Rows with a null id are left out.  Rows
     that repeat an id are copies of each other only through their texts: the pair (id, id) is not
@@ -60,13 +61,20 @@ def form_copies(docs: DataFrame, id_col: str = "ordinal", text_col: str = "text"
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     forms = cut(texts.mapInArrow(profiles.forms, profiles.FORM_SCHEMA))
-    classes = form_classes(forms).where("n > 1 or kept < low").select("l1", "l2", "kept")
-    pairs = cut(forms.join(classes, ["l1", "l2"]).where("id > kept").select("kept", F.col("id").alias("copy")))
+    classes = form_classes(forms).where("n > 1 or kept < low").select("l1", "l2", "kept", "low")
+    members = cut(forms.join(classes, ["l1", "l2"]).select("id", "kept", "low", "l1", "l2", "m1", "m2"))
+    labelled = members.where("m1 is not null").groupBy("l1", "l2", "m1", "m2").agg(F.min("id").alias("id"))
+    first = labelled.groupBy("m1", "m2").agg(F.min("id").alias("first"))
+    links = members.where("id > low").select(F.col("low").alias("first"), "id").union(labelled.join(first, ["m1", "m2"]).where("id > first").select("first", "id"))
     # only the texts that take part are read again for the exact comparison
-    kept = texts.join(pairs.select(F.col("kept").alias("id")).distinct(), "id", "left_semi")
-    copies = pairs.join(texts.select(F.col("id").alias("copy"), F.col("text").alias("b")), "copy")
-    both = copies.join(kept.select(F.col("id").alias("kept"), F.col("text").alias("a")), "kept").select("kept", "copy", "a", "b")
-    return both.mapInArrow(_verify, "kept bigint, copy bigint")
+    second = links.join(texts.select("id", F.col("text").alias("b")), "id")
+    both = second.join(texts.select(F.col("id").alias("first"), F.col("text").alias("a")), "first").select("id", "a", "b")
+    bad = cut(both.mapInArrow(_differ, "id bigint").distinct())
+    pairs = members.where("id > kept")
+    if bad.limit(1).count():
+        wrong = members.join(bad, "id", "left_semi").select("l1", "l2", "id", (F.col("id") == F.col("low")).alias("whole"))
+        pairs = pairs.join(wrong.select("id"), "id", "left_anti").join(wrong.where("whole").select("l1", "l2"), ["l1", "l2"], "left_anti")
+    return pairs.select("kept", F.col("id").alias("copy"))
 
 
 def collapse(docs: DataFrame, id_col: str = "ordinal", text_col: str = "text") -> DataFrame:
