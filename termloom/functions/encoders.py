@@ -51,20 +51,18 @@ class LexicalEncoder:
 
     def encode(self, df: DataFrame, text_col: str) -> DataFrame:
         """Per row and in place: sorting the terms puts equal ones side by side, so no shuffle."""
-        hashed = F.transform(
-            F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)),
-            lambda t: F.struct((F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint") % VOCABULARY).alias("token"), t.alias("term")),
-        )
-        rows = df.withColumn("__t", F.array_sort(hashed))
-        starts = F.filter(
-            F.transform("__t", lambda x, i: F.struct(x["token"].alias("token"), x["term"].alias("term"), i.alias("i"))),
-            lambda x: (x["i"] == 0) | (F.get(F.col("__t"), x["i"] - 1)["term"] != x["term"]),
-        )
-        rows = rows.withColumn("__s", starts)
-        count = lambda x, k: F.coalesce(F.get(F.col("__s"), k + 1)["i"], F.size("__t")) - x["i"]
-        weights = F.transform("__s", lambda x, k: F.ln(F.lit(1.0) + count(x, k)).cast("float"))
-        rows = rows.withColumn("token_ids", F.col("__s.token")).withColumn("weights", weights)
-        return vectors.normalised(rows.drop("__t", "__s"))
+        terms = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+        rows = df.withColumn("__t", F.sort_array(terms)).withColumn("__n", F.size("__t"))
+        # every term beside the one before it and its place: runs of equal terms start where they
+        # differ, and only one term of each run is hashed
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice("__t", F.lit(1), F.greatest(F.col("__n"), F.lit(1))))
+        placed = F.arrays_zip(F.col("__t").alias("term"), before.alias("b"), F.sequence(F.lit(0), F.greatest(F.col("__n") - 1, F.lit(0))).alias("i"))
+        rows = rows.withColumn("__s", F.filter(placed, lambda x: x["term"].isNotNull() & ~x["term"].eqNullSafe(x["b"])))
+        ends = F.concat(F.slice(F.col("__s.i"), F.lit(2), F.greatest(F.size("__s"), F.lit(1))), F.array("__n"))
+        counts = F.zip_with(F.col("__s.i"), ends, lambda i, e: F.when(i.isNotNull(), F.ln((1 + e - i).cast("double")).cast("float")))
+        tokens = F.transform("__s.term", lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint") % VOCABULARY)
+        rows = rows.withColumn("token_ids", tokens).withColumn("weights", F.filter(counts, lambda w: w.isNotNull()))
+        return vectors.normalised(rows.drop("__t", "__s", "__n"))
 
 
 class DenseEncoder:

@@ -66,9 +66,19 @@ def normalised(df: DataFrame, tokens: str = "token_ids", weights: str = "weights
         out = df.withColumn("__v", stable)
         return out.withColumn(tokens, F.col("__v.t")).withColumn(weights, F.col("__v.w")).drop("__v")
     clean = F.filter(F.sort_array(pairs), lambda p: p["t"].isNotNull() & p["w"].isNotNull() & ~F.isnan(p["w"]))
-    out = df.withColumn("__s", clean)
-    last = F.filter("__s", lambda p, i: ~p["t"].eqNullSafe(F.get(F.col("__s"), i + F.lit(1))["t"]))
-    return out.withColumn("__v", last).withColumn(tokens, F.col("__v.t")).withColumn(weights, F.col("__v.w")).drop("__v", "__s")
+    out = df.withColumn("__s", clean).withColumn("__v", last_of_runs("__s"))
+    return out.withColumn(tokens, F.col("__v.t")).withColumn(weights, F.col("__v.w")).drop("__v", "__s")
+
+
+def last_of_runs(column: str) -> Column:
+    """The last of every run of equal ``t`` in a sorted array of (t, w), none of them null.
+
+    Each entry is put beside the next one's ``t`` first: the lambda looks at nothing but its own
+    argument, so the array is never evaluated again per entry, wherever the optimizer moves it.
+    """
+    following = F.slice(F.col(f"{column}.t"), F.lit(2), F.greatest(F.size(column), F.lit(1)))
+    beside = F.arrays_zip(F.col(f"{column}.t").alias("t"), F.col(f"{column}.w").alias("w"), following.alias("n"))
+    return F.filter(beside, lambda p: p["t"].isNotNull() & ~p["t"].eqNullSafe(p["n"]))
 
 
 def has_duplicates(tokens: Column) -> Column:
@@ -87,6 +97,17 @@ def postings(df: DataFrame, id_col: str, tokens: str = "token_ids", weights: str
     return rows.where(F.col("token_id").isNotNull() & F.col("weight").isNotNull() & ~F.isnan("weight")).groupBy(id_col, "token_id").agg(F.max("weight").alias("weight"))
 
 
+def postings_with_norm(df: DataFrame, key: str, tokens: str = "token_ids", weights: str = "weights") -> DataFrame:
+    """(key, token_id, weight, norm) of normalised vectors: the norm is found in the row, before
+    its entries are spread out, so nothing is shuffled."""
+    measured = df.select(key, F.arrays_zip(F.col(tokens).alias("t"), F.col(weights).alias("w")).alias("v"), norm(F.col(weights)).alias("norm"))
+    # the outer form keeps the optimizer from testing the arrays' sizes in a filter of its own,
+    # which would build them twice
+    spread = measured.select(key, "norm", F.explode_outer("v").alias("e"))
+    rows = spread.select(key, F.col("e.t").alias("token_id"), F.col("e.w").alias("weight"), "norm")
+    return rows.where(F.col("token_id").isNotNull())
+
+
 def to_arrays(rows: DataFrame, id_col: str) -> DataFrame:
     """The inverse of :func:`postings`: sorted arrays per id."""
     gathered = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(F.col("token_id").alias("t"), F.col("weight").alias("w")))).alias("v"))

@@ -15,7 +15,12 @@ _IN_PARTITION = (1 << 33) - 1
 
 
 def with_positions(df: DataFrame, column: str = "ordinal", start: int = 0) -> DataFrame:
-    """Number the rows densely in their present order, without moving them.
+    """Number the rows densely in their present order, without moving them."""
+    return numbered(df, column, start)[0]
+
+
+def numbered(df: DataFrame, column: str = "ordinal", start: int = 0) -> tuple[DataFrame, int]:
+    """(the rows with their positions, how many they are).
 
     The rows are materialised first; then one small count per partition gives every partition its
     offset, and the position within the partition is free.
@@ -27,10 +32,11 @@ def with_positions(df: DataFrame, column: str = "ordinal", start: int = 0) -> Da
         offsets.append(total)
         total += counts.get(p, 0)
     if not offsets:
-        return rows.withColumn(column, F.lit(None).cast("bigint"))
+        return rows.withColumn(column, F.lit(None).cast("bigint")), 0
     table = rows.sparkSession.createDataFrame(list(enumerate(offsets)), "__p int, __offset bigint")
-    numbered = rows.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)))
-    return numbered.join(F.broadcast(table), "__p").withColumn(column, F.col("__offset") + F.col("__i")).drop("__p", "__i", "__offset")
+    marked = rows.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)))
+    placed = marked.join(F.broadcast(table), "__p").withColumn(column, F.col("__offset") + F.col("__i"))
+    return placed.drop("__p", "__i", "__offset"), total - start
 
 
 def greedy_groups(sizes: DataFrame, target: int, order: str = "ordinal", size: str = "n_bytes") -> DataFrame:

@@ -104,7 +104,8 @@ def lexical_doc_norm(spark, d):
 
 
 def _dense_search(spark, d, queries, metric="cosine"):
-    postings = scoring.with_norms(_dense(spark, d), "vec_id")
+    docs = vectors.extract_sparse(_t(spark, d, "embeddings").select("vec_id", "embedding"), "embedding")
+    postings = vectors.postings_with_norm(docs, "vec_id")
     terms = scoring.query_terms(queries.withColumnRenamed("vec_id", "query_id"))
     return scoring.score(postings, terms, "vec_id", metric=metric)
 
@@ -139,7 +140,7 @@ def dense_pair_scores(spark, d):
 
 
 def _index_postings(docs):
-    return scoring.with_norms(vectors.postings(docs, "ordinal"), "ordinal")
+    return vectors.postings_with_norm(vectors.normalised(docs.select("ordinal", "token_ids", "weights")), "ordinal")
 
 
 def _query_vectors(spark, d, where):
@@ -188,7 +189,7 @@ def partial_final_topk(spark, d):
 
 
 def _lexical(spark, d):
-    return scoring.with_norms(LexicalEncoder.postings(_t(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return vectors.postings_with_norm(LexicalEncoder().encode(_t(spark, d, "documents").select("doc_id", "text"), "text"), "doc_id")
 
 
 def _text_queries(spark, d):
@@ -218,7 +219,7 @@ def encode_udf_topk(spark, d):
             return [[float(t.lower().count(c)) for c in "etaoinshrdlu"] for t in texts]
 
     encoded = UdfEncoder(Lengths, "letters").encode(_t(spark, d, "documents").select("doc_id", "text"), "text")
-    rows = scoring.with_norms(vectors.postings(encoded, "doc_id"), "doc_id")
+    rows = vectors.postings_with_norm(encoded, "doc_id")
     queries = spark.createDataFrame([(0, 0, 3.0), (0, 1, 2.0), (0, 5, 1.0)], "query_id bigint, token_id bigint, weight float")
     return topk.top_k(scoring.score(rows, scoring.query_terms(queries), "doc_id"), 10).select("rank", "doc_id", "score")
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from termloom import schema as S
 from termloom.functions import vectors
 from termloom.functions.encoders import Encoder, model_id_of
-from termloom.plans.positions import approximate_groups, greedy_groups, with_positions
+from termloom.plans.positions import approximate_groups, greedy_groups, numbered
 from termloom.sources.files import Files
 
 FORMAT = "1.0"
@@ -219,19 +219,18 @@ class SparseIndex:
         rows = vectors.normalised(docs.select(*columns))
         rows = rows.withColumn("metadata", F.coalesce("metadata", F.create_map().cast(S.METADATA)))
         rows = rows.withColumn("norm", vectors.norm(F.col("weights"))).withColumn("n_bytes", S.logical_bytes())
-        rows = with_positions(rows, "ordinal", first)
-        n = rows.count()
+        rows, n = numbered(rows, "ordinal", first)
         if n <= EXACT_ROWS:
             groups = greedy_groups(rows.select("ordinal", "n_bytes"), target).select("ordinal", "group_no")
-            placed = rows.join(groups, "ordinal")
+            placed = rows.join(F.broadcast(groups), "ordinal")  # EXACT_ROWS bounds it; the rows stay where they are
         else:
-            placed = approximate_groups(rows, target)
+            placed = approximate_groups(rows, target).repartitionByRange("ordinal")
         placed = placed.withColumnRenamed("group_no", "segment_no")
         names = [f.name for f in S.STORED]
         out = f"{self.path}/docs/generation={generation}"
         if n:
-            # one task per segment range; a segment is one sorted run of files
-            placed.select(*names).repartitionByRange("segment_no", "ordinal").sortWithinPartitions("segment_no", "ordinal").write.partitionBy("segment_no").parquet(out)
+            # tasks hold ranges of the scan order, so a segment is a few sorted files
+            placed.select(*names).sortWithinPartitions("segment_no", "ordinal").write.partitionBy("segment_no").parquet(out)
             stored = self.spark.read.schema(S.STORED).option("basePath", out).parquet(out)
             pairs = stored.select("ordinal", "norm", F.explode(F.arrays_zip(F.col("token_ids").alias("t"), F.col("weights").alias("w"))).alias("e"))
             postings = pairs.select(F.col("e.t").alias("token_id"), "ordinal", F.col("e.w").alias("weight"), "norm")
