@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.functions.vectors import last_of_runs
 from termloom.plans.lineage import cut
 
 #: a usable weight is above this, compared as 32-bit floats
@@ -28,13 +29,12 @@ def usable_entries(docs: DataFrame, id_col: str = "ordinal", tokens: str = "toke
         F.arrays_zip(F.col(tokens).alias("t"), F.col(weights).cast("array<float>").alias("w")).alias("pairs"),
         (F.size(F.array_distinct(tokens)) < F.size(tokens)).alias("repeats"),
     )
-    rows = rows.withColumn("sorted", F.when(F.col("repeats"), F.sort_array(F.filter("pairs", lambda p: _usable(p["w"])))))
-    last_of_token = F.filter(
-        "sorted", lambda p, i: ~p["t"].eqNullSafe(F.get(F.col("sorted"), i + F.lit(1))["t"])
-    )
-    entries = F.when(F.col("repeats"), last_of_token).otherwise(F.col("pairs"))
+    rows = rows.withColumn("sorted", F.when(F.col("repeats"), F.sort_array(F.filter("pairs", lambda p: p["t"].isNotNull() & _usable(p["w"])))))
+    settled = F.transform(last_of_runs("sorted"), lambda p: F.struct(p["t"].alias("t"), p["w"].alias("w")))
+    entries = F.when(F.col("repeats"), settled).otherwise(F.col("pairs"))
+    # the outer form keeps the optimizer from building the arrays a second time in a filter
     return (
-        rows.select("record", F.explode(entries).alias("e"))
+        rows.select("record", F.explode_outer(entries).alias("e"))
         .select("record", F.col("e.t").alias("token_id"), F.col("e.w").alias("weight"))
         .where(F.col("token_id").isNotNull() & _usable(F.col("weight")))
     )
