@@ -41,12 +41,12 @@ class Files:
         finally:
             stream.close()
 
-    def write_json(self, path: str, value: dict) -> None:
+    def write_bytes(self, path: str, data: bytes) -> None:
         """Write beside the target, then replace it in one rename."""
         staged = f"{path}.{uuid.uuid4().hex}.tmp"
         stream = self._fs(staged).create(self._path(staged), True)
         try:
-            stream.write(bytearray(json.dumps(value, ensure_ascii=False, indent=1).encode()))
+            stream.write(bytearray(data))
         finally:
             stream.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(path).toUri(), self._conf)
@@ -55,3 +55,6 @@ class Files:
         options[0] = rename.OVERWRITE
         qualify = lambda p: context.makeQualified(self._path(p))
         context.rename(qualify(staged), qualify(path), options)
+
+    def write_json(self, path: str, value: dict) -> None:
+        self.write_bytes(path, json.dumps(value, ensure_ascii=False, indent=1).encode())
