@@ -6,18 +6,23 @@ signatures sorted by signature.  A batch is profiled once, its keys are merged w
 by sorted merge joins, and only windows around the batch's records are compared: the window of a
 record under a key is the run of records with an equal key.  Near-duplicate keys are the
 signatures of :mod:`termloom.llm.partenum`, under an order frozen with the history, so windows
-lose no similar pair; texts of the history are never read again.  ``compact`` merges the runs
-into key ranges.
+lose no similar pair; texts of the history are never read again.  The features of absorbed runs
+are counted beside that order, so a batch also meets records that only these hold.  ``compact``
+merges the runs into key ranges.
 """
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import partenum as pe
 from termloom.llm import profiles as pf
 from termloom.plans.lineage import cut, store
+from termloom.sources.files import Files
 
 #: reasons in order of precedence
 REASONS = {1: "doc_id", 2: "copy", 3: "near"}
@@ -39,7 +44,8 @@ class History:
         self.spark, self.path, self.shingle, self.threshold = spark, path.rstrip("/"), shingle, threshold
         self.runs: list[str] = []
         self.next_run = 0
-        self.order: bytes = b""
+        self.order: bytes = b""  # counters that order the features, frozen until compact()
+        self.held: bytes = b""  # above 0 for the features of any run
 
     # -- storage ---------------------------------------------------------------------------
 
@@ -61,6 +67,34 @@ class History:
         self.next_run += 1
         return run, first
 
+    def _count(self, run: str, *, renew: bool) -> None:
+        """Count the run's features: as the order of all runs, or beside the frozen one."""
+        profiles = self.spark.read.schema(pf.PROFILE_SCHEMA).parquet(f"{run}/profiles")
+        counted = pe.rarity_table(profiles.where("features is not null"))
+        if renew:
+            self.order = self.held = counted
+        else:
+            self.held = np.maximum(np.frombuffer(self.held, dtype=np.uint8), np.frombuffer(counted, dtype=np.uint8)).tobytes()
+
+    def _publish(self, runs: list[str]) -> None:
+        """Store the counters in the newest run's folder, then name the runs in one rename."""
+        files, newest = Files(self.spark), runs[-1]
+        for name, table in (("order", self.order), ("held", self.held)):
+            files.write_bytes(f"{newest}/{name}", zlib.compress(table, 1))
+        names = [r.rsplit("/", 1)[1] for r in runs]
+        files.write_json(f"{self.path}/history.json", {"runs": names, "next_run": self.next_run, "shingle": self.shingle, "threshold": self.threshold})
+        self.runs = runs
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> History:
+        """The history last published under ``path``."""
+        state = Files(spark).read_json(f"{path.rstrip('/')}/history.json")
+        self = cls(spark, path, state["shingle"], state["threshold"])
+        self.runs, self.next_run = [f"{self.path}/{r}" for r in state["runs"]], state["next_run"]
+        read = lambda name: zlib.decompress(spark.read.format("binaryFile").load(f"{self.runs[-1]}/{name}").first().content)
+        self.order, self.held = read("order"), read("held")
+        return self
+
     @classmethod
     def create(cls, spark: SparkSession, path: str, docs: DataFrame, id_col: str, doc_id: str, text: str, *, shingle: int = 5, threshold: float = 0.8) -> History:
         """A history of one run that holds all of ``docs``; ``id_col`` from 0 up to 2**44."""
@@ -69,9 +103,9 @@ class History:
         rows = docs.select((F.col(id_col).cast("bigint") + F.lit(first)).alias("id"), F.col(doc_id).cast("string"), F.col(text).cast("string"))
         self._profile(rows).write.parquet(f"{run}/profiles")
         profiles = spark.read.schema(pf.PROFILE_SCHEMA).parquet(f"{run}/profiles")
-        self.order = pe.rarity_table(profiles.where("features is not null"))
+        self._count(run, renew=True)
         self._write_signatures(run, pe.distinct_sets(profiles))
-        self.runs.append(run)
+        self._publish([run])
         return self
 
     # -- checking --------------------------------------------------------------------------
@@ -80,7 +114,7 @@ class History:
         """(a, b): similar distinct sets, b in the batch, a in the history (negative) or before b."""
         held = batch.where("features is not null")
         fresh = pe.rarity_table(held)
-        new = store(pe.signatures(pe.distinct_sets(batch), self.threshold, self.order, fresh), "signatures")
+        new = store(pe.signatures(pe.distinct_sets(batch), self.threshold, self.order, fresh, held=self.held), "signatures")
         right = new.unionByName(pe.meeting(self._signatures(), new))
         candidates = pe.meet(new, right, self.threshold, lambda x, y: (y < x))
         features = held.select("id", "features").union(self._profiles().where("features is not null").select("id", "features"))
@@ -167,14 +201,15 @@ class History:
         light.withColumn("id", F.col("id") + F.lit(first)).select(*profiles.columns).write.parquet(f"{run}/profiles")
         stored = self.spark.read.schema(pf.PROFILE_SCHEMA).parquet(f"{run}/profiles")
         self._write_signatures(run, pe.distinct_sets(stored))
-        self.runs.append(run)
+        self._count(run, renew=False)
+        self._publish([*self.runs, run])
 
     def compact(self) -> None:
         """Merge all runs into one, its signatures in sorted key ranges under a fresh order."""
         run, _ = self._new_run()
         self._profiles().write.parquet(f"{run}/profiles")
         profiles = self.spark.read.schema(pf.PROFILE_SCHEMA).parquet(f"{run}/profiles")
-        self.order = pe.rarity_table(profiles.where("features is not null"))
+        self._count(run, renew=True)
         signed = pe.signatures(pe.distinct_sets(profiles), self.threshold, self.order, all_features=True)
         signed.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{run}/signatures")
-        self.runs = [run]
+        self._publish([run])

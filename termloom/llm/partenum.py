@@ -183,21 +183,24 @@ TOKEN_SCHEMA = "token bigint, id bigint, size int, b0 bigint, b1 bigint"
 _MAP = ["b0", "b1"]
 
 
-def signatures(sets: DataFrame, threshold: float, rarity: bytes, batch: bytes | None = None, *, all_features: bool = False) -> DataFrame:
+def signatures(sets: DataFrame, threshold: float, rarity: bytes, batch: bytes | None = None, *, held: bytes | None = None, all_features: bool = False) -> DataFrame:
     """(id, features) -> one row per signature, with the set's size and parity map.
 
     ``rarity``: counters over the collection, which give the order.  A feature that these count
     once occurs in no second set and gives no signature; with ``batch``, counters over new sets
     that are not yet in the collection, a feature is dropped if the collection lacks it and the
-    new sets hold it once.  ``all_features``: drop none, as sets still unknown may hold them.
+    new sets hold it once.  ``held``: counters over the whole collection, where ``rarity`` counts
+    only a part of it.  ``all_features``: drop none, as sets still unknown may hold them.
     """
     sc = sets.sparkSession.sparkContext
     order = sc.broadcast(rarity)
     fresh = sc.broadcast(batch) if batch is not None else None
+    whole = order if held is None or held is rarity else sc.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Signatures(threshold)
         levels = np.frombuffer(order.value, dtype=np.uint8)
+        in_whole = np.frombuffer(whole.value, dtype=np.uint8)
         among_new = np.frombuffer(fresh.value, dtype=np.uint8) if fresh is not None else None
         for batch in batches:
             tokens, counts, ids, sizes, maps = [], [], [], [], []
@@ -210,7 +213,7 @@ def signatures(sets: DataFrame, threshold: float, rarity: bytes, batch: bytes |
                 elif among_new is None:
                     shared = level > 1
                 else:
-                    shared = (level > 0) | (among_new[at] > 1)
+                    shared = (in_whole[at] > 0) | (among_new[at] > 1)
                 own = make.of(features, level, shared)
                 tokens.append(own)
                 counts.append(len(own))

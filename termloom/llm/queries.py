@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return known.check(_table(spark, d, "incoming_docs"))[0]
 
 
+def p7_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Like ``p7_found``, each batch checked against the history with all batches before it."""
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    known = history.History.create(spark, path, _table(spark, d, "index_docs"), "ordinal", "doc_id", "text", shingle=3, threshold=0.6)
+    incoming, found = _table(spark, d, "incoming_docs"), []
+    for r in incoming.select("batch_no").distinct().orderBy("batch_no").collect():
+        reasons, batch = known.check(incoming.where(F.col("batch_no").eqNullSafe(F.lit(r.batch_no))))
+        known.absorb(reasons, batch)
+        found.append(reasons)
+    return reduce(DataFrame.union, found, spark.createDataFrame([], "row_no bigint, reason string"))
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_table(spark, d, "documents"), _table(spark, d, "pack_sizes"))
 
@@ -111,6 +124,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
+    "p7_batches": p7_batches,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
     "p9_mixture": p9_mixture,

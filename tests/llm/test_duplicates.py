@@ -235,6 +235,21 @@ def test_history_against_brute_force(spark, k, g, seed):
     assert found | second == expected
 
 
+@pytest.mark.parametrize(("k", "g", "words"), [(3, 0.6, 40), (5, 0.8, 14), (5, 0.8, 700)])
+def test_batch_is_checked_against_new_texts_of_absorbed_batches(spark, k, g, words):
+    text = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    frame = lambda *rows: spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    path = f"{shared_dir(spark)}/h-{uuid.uuid4().hex}"
+    h = history.History.create(spark, path, frame((0, "a", text("o", words))), "n", "doc_id", "text", shingle=k, threshold=g)
+    known, batch = h.check(frame((0, "b", text("v", words))), "n")
+    assert known.collect() == []
+    h.absorb(known, batch)
+    two = frame((1, "c", text("v", words - 1)), (2, "d", text("o", words - 1)), (3, "e", text("u", words)))
+    expected = {(1, "near"), (2, "near")}
+    assert {tuple(r) for r in h.check(two, "n")[0].collect()} == expected
+    assert {tuple(r) for r in history.History.open(spark, path).check(two, "n")[0].collect()} == expected
+
+
 def test_history_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     h = history.History.create(spark, f"{shared_dir(spark)}/h-{uuid.uuid4().hex}", empty, "n", "doc_id", "text")
