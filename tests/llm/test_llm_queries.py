@@ -1,5 +1,6 @@
 import pytest
 
+from termloom.llm import termweights
 from termloom.llm.queries import ORACLES, QUERIES
 from tests.test_queries import compare
 
@@ -12,3 +13,10 @@ def test_query_equals_its_sql(spark, data, name):
 @pytest.mark.parametrize("name", ["p3_found", "p5_found", "p7_found", "p8_fill", "p9_shares", "p10_found"])
 def test_query_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
+
+
+def test_every_entry_has_a_score(spark, data):
+    entries = termweights.usable_entries(spark.read.parquet(f"{data}/index_docs.parquet"), "ordinal", "token_ids", "weights")
+    scored = QUERIES["p1_scores"](spark, data).collect()
+    assert {(r.ordinal, r.token_id) for r in scored} == {(r.record, r.token_id) for r in entries.collect()}
+    assert len(scored) > 10 * len({r.ordinal for r in scored})
