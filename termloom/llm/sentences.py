@@ -98,6 +98,7 @@ _TRIE = Trie()
 def _pairs(text: str, events: list[re.Match]) -> tuple[dict[int, str], set[int]]:
     """Positions of the opening signs that are closed (with their sign), and of their closings."""
     stack: list[tuple[str, int, str]] = []  # what closes it, position, sign
+    depths: dict[str, list[int]] = {}  # where the stack waits for a closing sign
     opened: dict[int, str] = {}
     closed: set[int] = set()
     size = len(text)
@@ -109,17 +110,20 @@ def _pairs(text: str, events: list[re.Match]) -> tuple[dict[int, str], set[int]]
         after = text[at + 1] if at + 1 < size else " "
         if sign in "'’" and before.isalnum() and after.isalnum():
             continue  # an apostrophe
-        depth = next((d for d in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if stack[d][0] == sign), -1)
+        depth = depths[sign][-1] if depths.get(sign) else -1
         if depth >= 0 and not (sign in "\"'" and (before.isspace() or (sign == "'" and after.isalnum()))):
             _, where, what = stack[depth]
             opened[where] = what
             closed.add(at)
+            for close, _, _ in stack[depth:]:
+                depths[close].pop()
             del stack[depth:]
         elif sign in _PAIRS:
             if sign in "\"'" and not (before.isspace() or before in _PAIRS or before in _GOES_ON or before in _ENDS):
                 continue
             if sign in "\"'" and after.isspace():
                 continue
+            depths.setdefault(_PAIRS[sign], []).append(len(stack))
             stack.append((_PAIRS[sign], at, sign))
     return opened, closed
 

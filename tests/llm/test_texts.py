@@ -238,6 +238,12 @@ def test_sentence_cases(case):
     assert found == [u.replace("\0", "/") for u in units]
 
 
+@pytest.mark.parametrize("between", [3, 8, 40])
+def test_opening_signs_are_found_at_any_depth(between):
+    text = "Foo (see " + "[ab " * between + "and went. Then it stayed) here. «Bar [c» left."
+    assert [text[a:b] for a, b in split_sentences(text)] == [text[: text.index(" «Bar")], "«Bar [c» left."]
+
+
 def test_blocks_lists_and_headings():
     text = "  Notes on it\r\n\r\n1. Close it. Then\ncount it.\n\nA line\nwrapped here. Done\n \n* One item\n* Two. Items\nAfter it.\n10. No item.\n"
     found = [text[a:b] for a, b in split_sentences(text)]
