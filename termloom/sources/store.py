@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from termloom import schema as S
 from termloom.functions import vectors
 from termloom.functions.encoders import Encoder, model_id_of
-from termloom.plans.positions import approximate_groups, greedy_groups, numbered
+from termloom.plans.positions import greedy_groups, numbered
 from termloom.sources.files import Files
 
 FORMAT = "1.0"
 MIB = 1024 * 1024
 DEFAULT_SHARD_MB = 32
-#: batches up to this many rows get exactly greedy segments, larger ones the parallel rule
-EXACT_ROWS = 100_000
+#: group numbers of batches up to this many rows are broadcast, those of larger ones joined
+BROADCAST_ROWS = 100_000
 
 
 def segment_hashes(docs: DataFrame) -> DataFrame:
@@ -220,11 +220,11 @@ class SparseIndex:
         rows = rows.withColumn("metadata", F.coalesce("metadata", F.create_map().cast(S.METADATA)))
         rows = rows.withColumn("norm", vectors.norm(F.col("weights"))).withColumn("n_bytes", S.logical_bytes())
         rows, n = numbered(rows, "ordinal", first)
-        if n <= EXACT_ROWS:
-            groups = greedy_groups(rows.select("ordinal", "n_bytes"), target).select("ordinal", "group_no")
-            placed = rows.join(F.broadcast(groups), "ordinal")  # EXACT_ROWS bounds it; the rows stay where they are
+        groups = greedy_groups(rows.select("ordinal", "n_bytes"), target).select("ordinal", "group_no")
+        if n <= BROADCAST_ROWS:
+            placed = rows.join(F.broadcast(groups), "ordinal")  # the rows stay where they are
         else:
-            placed = approximate_groups(rows, target).repartitionByRange("ordinal")
+            placed = rows.join(groups, "ordinal").repartitionByRange("ordinal")
         placed = placed.withColumnRenamed("group_no", "segment_no")
         names = [f.name for f in S.STORED]
         out = f"{self.path}/docs/generation={generation}"
