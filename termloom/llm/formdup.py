@@ -61,7 +61,9 @@ def form_copies(docs: DataFrame, id_col: str = "ordinal", text_col: str = "text"
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     forms = cut(texts.mapInArrow(profiles.forms, profiles.FORM_SCHEMA))
-    classes = form_classes(forms).where("n > 1 or kept < low").select("l1", "l2", "kept", "low")
+    classes = form_classes(forms)
+    joined = classes.where("kept < low").select("kept").distinct().withColumn("joined", F.lit(True))  # a kept row may be alone with its letters
+    classes = classes.join(joined, "kept", "left").where("n > 1 or joined").select("l1", "l2", "kept", "low")
     members = cut(forms.join(classes, ["l1", "l2"]).select("id", "kept", "low", "l1", "l2", "m1", "m2"))
     labelled = members.where("m1 is not null").groupBy("l1", "l2", "m1", "m2").agg(F.min("id").alias("id"))
     first = labelled.groupBy("m1", "m2").agg(F.min("id").alias("first"))

@@ -63,6 +63,17 @@ def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     assert [tuple(r) for r in formdup.form_copies(df).collect()] == [(1, 2)]
 
 
+def test_field_links_to_the_kept_row_are_verified(spark, monkeypatch):
+    def colliding(batches):
+        for batch in batches:
+            ids, ones = batch.column(0), pa.array([1] * len(batch), pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, ids, ids, ones, ones], names=["id", "l1", "l2", "m1", "m2"])
+
+    monkeypatch.setattr(profiles, "forms", colliding)
+    df = spark.createDataFrame([(1, "title: a|body: b"), (2, "title: c|body: d"), (3, "body: b|title: a")], "ordinal bigint, text string")
+    assert [tuple(r) for r in formdup.form_copies(df).collect()] == [(1, 3)]
+
+
 def _texts(rng, n, words=40, vocabulary=60):
     out = []
     for i in range(n):
