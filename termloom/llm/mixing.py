@@ -70,6 +70,11 @@ class Mixture:
         shares = {s: Fraction(share).limit_denominator(10**12) for s, share, _ in self.targets}
         if total is None:
             total = min((int(self.available[s] * r / shares[s]) for s, _, r in self.targets if self.available[s]), default=0)
+        self.aim(total)
+
+    def aim(self, total: int) -> None:
+        """Set the tokens that the mixture should hold, and with them every source's budget."""
+        shares = {s: Fraction(share).limit_denominator(10**12) for s, share, _ in self.targets}
         self.total = total
         self.budgets = {s: min(int(shares[s] * total), self.available[s] * r) for s, _, r in self.targets}
 

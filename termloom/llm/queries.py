@@ -111,6 +111,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.Mixture(_table(spark, d, "documents"), _table(spark, d, "mix_targets")).shares()
 
 
+def p9_whole_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Like ``p9_shares``, for a mixture as large as all target sources together: repeats bind."""
+    mix = mixing.Mixture(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))
+    mix.aim(sum(mix.available.values()))
+    return mix.shares()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     units = sentences.sentences(_table(spark, d, "documents"))
     return units.select(F.col("id").alias("doc_id"), "start_pos", "end_pos")
@@ -136,6 +143,7 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_whole_shares": p9_whole_shares,
     "p10_found": p10_found,
 }
 
