@@ -12,7 +12,7 @@ Two kinds of partitioning, chosen per size band by :func:`plan`:
   some subset is untouched.
 * ``finest``: every feature is a partition of its own.  This is taken where the allowed distance
   is so large that coarser parts would leave next to no feature per signature (low thresholds,
-  tiny sets).  At most ``n - ceil(g n)`` of a set's n features are missing in a similar set, so
+  tiny sets) or need more than ``MOST_SIGNATURES`` (long sets: at 0.8, from 567 features up).  At most ``n - ceil(g n)`` of a set's n features are missing in a similar set, so
   enumerating one more than that, in an order common to all sets, is enough.  The order is
   rarest first, by counters over the whole collection, which keeps signatures selective; any
   order is correct.

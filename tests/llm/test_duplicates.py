@@ -191,6 +191,13 @@ def test_coarse_plans_exist_for_high_thresholds_only():
             partenum.fraction(bad)
 
 
+def test_set_sizes_with_parts_at_the_default_threshold():
+    make = partenum.Signatures(0.8)
+    kinds = lambda n: [make.plans[at] is not None for at in range(make.band_of(n), make.band_of(n) + 2)]
+    for sizes, parts in (((1, 3, 567, 5000), [False, False]), ((4, 5), [False, True]), ((6, 452), [True, True]), ((453, 566), [True, False])):
+        assert all(kinds(n) == parts for n in sizes)
+
+
 def _known(history_rows, batch, k, g):
     ids, texts, out = set(), [], {}
 
