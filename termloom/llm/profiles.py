@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from termloom.llm import textform as tf
@@ -30,19 +31,16 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def digest(data: bytes) -> tuple[int, int]:
-    value = xxhash.xxh3_128_intdigest(data)
-    return signed(value), signed(value >> 64)
-
-
 def _letters(words: list[str]) -> bytes:
     return "".join(words).encode("utf-8", "surrogatepass")
 
 
 def labelled_fields(folded: str) -> list[tuple[str, bytes]] | None:
     """(name, letters and digits of the value) of a text made of two or more labelled fields."""
+    if not _LABEL.match(folded):
+        return None
     found = list(_LABEL.finditer(folded))
-    if len(found) < 2 or found[0].start():
+    if len(found) < 2:
         return None
     ends = [m.start() for m in found[1:]] + [len(folded)]
     return [(m[1], _letters(tf.words_of(folded[m.end() : end]))) for m, end in zip(found, ends, strict=True)]
@@ -58,14 +56,14 @@ def multiset_hash(pairs: list[tuple[str, bytes]]) -> tuple[int, int]:
     return signed(low), signed(high)
 
 
-def form_of(text: str | None) -> tuple[tuple[int, int] | None, tuple[int, int] | None, list[str], str]:
-    """Form fingerprint, field fingerprint, words, folded text; no form without a letter or digit."""
+def form_of(text: str | None) -> tuple[tuple[int, int] | None, tuple[int, int] | None]:
+    """Form and field fingerprints of one text; none without a letter or digit."""
     folded = tf.fold(text or "")
-    words = tf.words_of(folded)
-    if not words:
-        return None, None, words, folded
+    _, counts, letters = tf.scan([folded])
+    if not counts[0]:
+        return None, None
     fields = labelled_fields(folded)
-    return digest(_letters(words)), multiset_hash(fields) if fields else None, words, folded
+    return tuple(letters[0].tolist()), multiset_hash(fields) if fields else None
 
 
 def same_in_form(a: str | None, b: str | None) -> bool:
@@ -80,7 +78,30 @@ def same_in_form(a: str | None, b: str | None) -> bool:
 
 def key_of(doc_id: str | None) -> tuple[int, int] | None:
     """Fingerprint of an identifier apart from letter case and blanks at its edges."""
-    return None if doc_id is None else digest(doc_id.strip(" \t\r\n").lower().encode("utf-8", "surrogatepass"))
+    return None if doc_id is None else tuple(tf.digests([_key(doc_id)])[0].tolist())
+
+
+def _key(doc_id: str) -> bytes:
+    return doc_id.strip(" \t\r\n").lower().encode("utf-8", "surrogatepass")
+
+
+def _pairs(values: np.ndarray, missing: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(values[:, c]), mask=missing) for c in range(2)]
+
+
+def _fields(folded: list[str], wordless: np.ndarray) -> list[pa.Array]:
+    """The two columns of the multiset hashes."""
+    found = [multiset_hash(f) if (f := labelled_fields(t)) else (None, None) for t in folded]
+    out = [pa.array([f[c] for f in found], pa.int64()) for c in range(2)]
+    return [pc.if_else(pa.array(wordless), pa.scalar(None, pa.int64()), x) for x in out]
+
+
+def _folded_groups(ids: list, texts: list) -> Iterator[tuple[list[int], list[str]]]:
+    """(rows, folded texts) in groups; rows without an id are left out."""
+    rows = [n for n, i in enumerate(ids) if i is not None]
+    held = [texts[n] or "" for n in rows]
+    for a, b in tf.groups(held):
+        yield rows[a:b], [tf.fold(t) for t in held[a:b]]
 
 
 FORM_SCHEMA = "id bigint, l1 bigint, l2 bigint, m1 bigint, m2 bigint"
@@ -89,13 +110,12 @@ FORM_SCHEMA = "id bigint, l1 bigint, l2 bigint, m1 bigint, m2 bigint"
 def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) -> form fingerprints; texts without letters or digits are dropped."""
     for batch in batches:
-        ids, rows = batch.column(0).to_pylist(), []
-        for i, text in zip(ids, batch.column(1).to_pylist(), strict=True):
-            form, fields, _, _ = form_of(text)
-            if form and i is not None:
-                rows.append((i, *form, *(fields or (None, None))))
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["id", "l1", "l2", "m1", "m2"])
+        ids = batch.column(0).to_pylist()
+        for rows, folded in _folded_groups(ids, batch.column(1).to_pylist()):
+            _, counts, letters = tf.scan(folded)
+            wordless = counts == 0
+            columns = [pa.array([ids[n] for n in rows], pa.int64()), *_pairs(letters, wordless), *_fields(folded, wordless)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "l1", "l2", "m1", "m2"]).filter(pa.array(~wordless))
 
 
 PROFILE_SCHEMA = "id bigint, k1 bigint, k2 bigint, l1 bigint, l2 bigint, m1 bigint, m2 bigint, s1 bigint, s2 bigint, size int, features binary"
@@ -112,25 +132,32 @@ def profiler(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[tuple[int, int]] = set()
         for batch in batches:
-            rows = []
-            none = (None, None)
-            for i, key, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if i is None:
-                    continue
-                form, fields, words, _ = form_of(text)
-                features, size, held = none, 0, None
-                if len(words) >= shingle:
-                    shingles = np.unique(tf.shingle_hashes(tf.word_hashes(words), shingle))
-                    data = shingles.tobytes()
-                    size, features = len(shingles), digest(data)
-                    if features not in known:
+            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for rows, folded in _folded_groups(ids, batch.column(2).to_pylist()):
+                hashes, counts, letters = tf.scan(folded)
+                features, sizes = tf.shingle_sets(hashes, counts, shingle)
+                stops = np.cumsum(sizes)
+                data = [features[b - n : b].tobytes() for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
+                sets = tf.digests(data)
+                held = []
+                for s, content in zip(map(tuple, sets.tolist()), data, strict=True):
+                    fresh = bool(content) and s not in known
+                    if fresh:
                         if len(known) >= REMEMBERED_SETS:
                             known.clear()
-                        known.add(features)
-                        held = data
-                rows.append((i, *(key_of(key) or none), *(form or none), *(fields or none), *features, size, held))
-            columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 11
-            types = [pa.int64()] * 9 + [pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_PROFILE_NAMES)
+                        known.add(s)
+                    held.append(content if fresh else None)
+                named = [keys[n] for n in rows]
+                nameless, wordless = np.array([k is None for k in named]), counts == 0
+                columns = [
+                    pa.array([ids[n] for n in rows], pa.int64()),
+                    *_pairs(tf.digests(_key(k or "") for k in named), nameless),
+                    *_pairs(letters, wordless),
+                    *_fields(folded, wordless),
+                    *_pairs(sets, sizes == 0),
+                    pa.array(sizes.astype(np.int32)),
+                    pa.array(held, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=_PROFILE_NAMES)
 
     return run

@@ -274,3 +274,30 @@ def test_history_empty(spark):
     assert h.check(empty, "n")[0].collect() == []
     known, _ = h.check(spark.createDataFrame([(0, "a", "t", "", ""), (1, "A ", "u", "", ""), (None, "a", "t", "", "")], SCHEMA), "n")
     assert [tuple(r) for r in known.collect()] == [(1, "doc_id")]
+
+
+def test_scanned_words_and_shingles_against_brute_force(monkeypatch):
+    rng = random.Random(3)
+    alphabet = "abcßя語ก्é_-., \n𝐀𝟙😀̀"
+    texts = ["", " ", "x", "ab " * 50, "y" * 300, *("".join(rng.choice(alphabet) for _ in range(rng.randrange(120))) for _ in range(200))]
+    monkeypatch.setattr(tf, "GROUP_CHARS", 100)  # texts longer than a group, and words longer than one
+    groups = list(tf.groups(texts))
+    assert [i for a, b in groups for i in range(a, b)] == list(range(len(texts))) and len(groups) > 10
+    hash_of, letters_of = {}, {}
+    for a, b in groups:
+        hashes, counts, letters = tf.scan(texts[a:b])
+        words = [tf.words_of(t) for t in texts[a:b]]
+        assert counts.tolist() == [len(w) for w in words]
+        for word, h in zip((x for w in words for x in w), hashes.tolist(), strict=True):
+            assert hash_of.setdefault(word, h) == h
+        for w, digest in zip(words, letters.tolist(), strict=True):
+            assert letters_of.setdefault("".join(w), digest) == digest
+        for n in (1, 3):
+            features, sizes = tf.shingle_sets(hashes, counts, n)
+            at = 0
+            for w, size in zip(words, sizes.tolist(), strict=True):
+                own = features[at : at + size]
+                assert size == len({tuple(w[i : i + n]) for i in range(len(w) - n + 1)}) and np.array_equal(own, np.unique(own))
+                at += size
+    assert len(set(hash_of.values())) == len(hash_of) and len({tuple(d) for d in letters_of.values()}) == len(letters_of)
+    assert [len(x) for x in tf.scan([])] == [0, 0, 0]
