@@ -20,7 +20,8 @@ def _reachable(spark: SparkSession) -> bool:
     conf = spark.sparkContext.getConf()
     paths = os.environ.get("PYTHONPATH", "") + os.pathsep + (conf.get("spark.executorEnv.PYTHONPATH") or "")
     roots = {os.path.realpath(p) for p in paths.split(os.pathsep) if p}
-    return os.path.realpath(ROOT) in roots or (spark.sparkContext.master.startswith("local") and os.path.realpath(os.getcwd()) == os.path.realpath(ROOT))
+    one_process = spark.sparkContext.master.split("[")[0] == "local"  # not local-cluster, whose workers start elsewhere
+    return os.path.realpath(ROOT) in roots or (one_process and os.path.realpath(os.getcwd()) == os.path.realpath(ROOT))
 
 
 def ship(spark: SparkSession) -> None:
