@@ -163,7 +163,8 @@ def search_own_k(spark, d):
     """Each query's own ``top_k``: null stands for 10, below 1 asks for nothing."""
     scored = scoring.score(_index_postings(_t(spark, d, "index_docs")), scoring.query_terms(_query_vectors(spark, d, "query_id % 100 = 0")))
     limits = _t(spark, d, "search_queries").select("query_id", F.coalesce("top_k", F.lit(10)).alias("k"))
-    return topk.top_k(scored.join(limits, "query_id"), F.col("k"), "ordinal").select("query_id", "rank", "ordinal", "score")
+    most = limits.agg(F.max("k")).first()[0] or 0
+    return topk.top_k(scored.join(limits, "query_id"), F.col("k"), "ordinal", most=most).select("query_id", "rank", "ordinal", "score")
 
 
 def search_no_match(spark, d):
@@ -233,24 +234,15 @@ def get_doc(spark, d):
     return hits.orderBy("ordinal").limit(1).select("ordinal", "doc_id", "text")
 
 
-def _batch(spark, d, results):
+def get_batch(spark, d):
+    """Documents of every query's results: null for missing ones, repeats allowed."""
     wanted = _t(spark, d, "search_queries").select(F.col("query_id").alias("pos"), F.concat(F.lit("doc_"), F.col("top_k").cast("string")).alias("made_up"))
-    best = results.select(F.col("query_id").alias("pos"), "doc_id").distinct()
+    best = _t(spark, d, "search_results").select(F.col("query_id").alias("pos"), "doc_id").distinct()
     asked = best.union(wanted.select("pos", F.col("made_up").alias("doc_id")))
     first = _live(spark, d).groupBy("doc_id").agg(F.min("ordinal").alias("ordinal"))
     return asked.join(first, "doc_id", "left").select("pos", "doc_id", "ordinal")
 
 
-def get_batch(spark, d):
-    """Documents of every hundredth query's results: order kept, null for missing, repeats allowed."""
-    return _batch(spark, d, _t(spark, d, "search_results").where("query_id % 100 = 0"))
-
-
-def get_batch_all(spark, d):
-    """Like ``get_batch``, of every query's results, the hot query's too."""
-    return _batch(spark, d, _t(spark, d, "search_results"))
-
-
 def live_docs(spark, d):
     return _live(spark, d).select("ordinal", "doc_id")
 
@@ -371,7 +363,7 @@ QUERIES = {
         dense_topk, scan_docs, scan_docs_no_text, scan_tombstones, dense_sparsify, dense_sparsify_threshold, vector_nnz, vector_norm, stored_norm,
         dedupe_max_weight, sorted_vector, duplicate_tokens, lexical_postings, lexical_doc_norm, dense_topk_dot, dense_topk_batch, dense_positive_count,
         dense_pair_scores, vector_search, search_with_tombstones, search_own_k, search_no_match, query_duplicate_tokens, partial_final_topk,
-        text_topk_batch, text_topk_with_text, format_result, encode_udf_topk, get_doc, get_batch, get_batch_all, live_docs, delete_count, compact_result,
+        text_topk_batch, text_topk_with_text, format_result, encode_udf_topk, get_doc, get_batch, live_docs, delete_count, compact_result,
         shard_assign_greedy, reshard_stats, index_stats, manifest_check, content_hash, set_difference, make_doc_id, make_text, make_metadata,
         ingest_limit, resume_anti, store_roundtrip, store_search, snapshot_isolation,
     )
@@ -499,11 +491,6 @@ SELECT rank, printf('%.3f', score) AS score_text, 'id=' || vec_id || ', label='
     "get_doc": f"""WITH {_LIVE} SELECT ordinal, doc_id, text FROM live
 WHERE doc_id = (SELECT doc_id FROM index_docs WHERE ordinal = 7) ORDER BY ordinal LIMIT 1""",
     "get_batch": f"""WITH {_LIVE},
-asked AS (SELECT DISTINCT query_id AS pos, doc_id FROM search_results WHERE query_id % 100 = 0
-  UNION ALL SELECT query_id, 'doc_' || top_k FROM search_queries),
-first AS (SELECT doc_id, min(ordinal) AS ordinal FROM live GROUP BY doc_id)
-SELECT pos, a.doc_id, f.ordinal FROM asked a LEFT JOIN first f ON f.doc_id = a.doc_id""",
-    "get_batch_all": f"""WITH {_LIVE},
 asked AS (SELECT DISTINCT query_id AS pos, doc_id FROM search_results
   UNION ALL SELECT query_id, 'doc_' || top_k FROM search_queries),
 first AS (SELECT doc_id, min(ordinal) AS ordinal FROM live GROUP BY doc_id)
