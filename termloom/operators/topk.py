@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 DIGITS = 6
 
 
-def top_k(scored: DataFrame, k: int | Column, doc_key: str = "doc_id", digits: int = DIGITS) -> DataFrame:
+def top_k(scored: DataFrame, k: int | Column, doc_key: str = "doc_id", digits: int = DIGITS, *, most: int | None = None) -> DataFrame:
     """(query_id, rank, doc_key, score): rank by rounded score, then by key.
 
-    ``k``: a number from 1 up, or a column of the query's own.  With a number, a partial limit
-    per task precedes the shuffle, so hot queries send at most k rows per task.
+    ``k``: a number from 1 up, or a column of the query's own, then with ``most``, the largest of
+    them (null and values below 1 ask for nothing).  A partial limit per task precedes the
+    shuffle, so hot queries send at most so many rows per task.
     """
+    if not isinstance(k, int) and most is None:
+        raise ValueError("a column of limits needs their largest")
     if isinstance(k, int) and k < 1:
         raise ValueError("top_k must be at least 1")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), doc_key)
     rounded = scored.withColumn("score", F.round("score", digits))
-    limit = F.lit(k) if isinstance(k, int) else k
-    return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = rounded.withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k) if isinstance(k, int) else ranked.where((F.col("rank") <= most) & (F.col("rank") <= k))
 
 
 def candidates(scored: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import vectors
 from termloom.functions.encoders import DenseEncoder, LexicalEncoder, UdfEncoder, model_id_of
-from termloom.operators import scoring
+from termloom.operators import scoring, topk
 
 
 def _rows(spark, *rows):
@@ -118,3 +118,20 @@ def test_joined_scores_equal_pair_scores(spark):
     assert all(abs(found[q, q] - 1) < 1e-9 for q in range(3)) and all(0 < s <= 1 + 1e-9 for s in found.values())
     with pytest.raises(ValueError):
         scoring.score(rows, scoring.query_terms(queries), "id", metric="other")
+
+
+def test_own_limits_with_ties_and_a_hot_query(spark):
+    rng = np.random.default_rng(5)
+    hits = [(int(q), f"d{i}", round(float(rng.integers(1, 9)) / 8 + 1e-9 * i, 10)) for i in range(60) for q in (1, 2, 3, 4)] + [(5, f"e{i}", 0.5) for i in range(3000)]
+    limits = {1: 3, 2: 0, 3: None, 4: 100, 5: 7}
+    scored = spark.createDataFrame(hits, "query_id bigint, doc_id string, score double").repartition(5)
+    asked = scored.join(spark.createDataFrame(list(limits.items()), "query_id bigint, k int"), "query_id")
+    best = topk.top_k(asked, F.col("k"), most=100)
+    assert "WindowGroupLimit" in best._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for r in best.orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.doc_id)
+    expected = {q: [d for _, d in sorted((-round(s, 6), d) for p, d, s in hits if p == q)][: limits[q] or 0] for q in limits}
+    assert found == {q: d for q, d in expected.items() if d}
+    with pytest.raises(ValueError):
+        topk.top_k(asked, F.col("k"))
