@@ -22,12 +22,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_log_entropy(spark: SparkSession, d: str) -> DataFrame:
-    scored = termweights.log_entropy(_table(spark, d, "index_docs"))
-    return termweights.top_terms(scored, 10).select(F.col("record").alias("ordinal"), "token_id", "records", "rank_no", "score")
-
-
-def p1_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Every entry's log-entropy score, of which ``p1_log_entropy`` gives each record's ten best."""
+    """Every usable entry with its log-entropy score."""
     scored = termweights.log_entropy(_table(spark, d, "index_docs"))
     return scored.select(F.col("record").alias("ordinal"), "token_id", "records", F.round("score", 6).alias("score"))
 
@@ -126,7 +121,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_log_entropy": p1_log_entropy,
-    "p1_scores": p1_scores,
     "p2_found": p2_found,
     "p2_frequencies": p2_frequencies,
     "p3_found": p3_found,
@@ -165,16 +159,6 @@ SELECT ordinal, token_id FROM (
     "p1_log_entropy": f"""
 WITH {_USABLE},
 totals AS (SELECT token_id, count(*) AS n, sum(CAST(weight AS DOUBLE)) AS total FROM entries GROUP BY token_id),
-spread AS (
-  SELECT token_id, any_value(n) AS n, 1 + sum(weight / total * ln(weight / total)) / ln((SELECT count(*) FROM index_docs)) AS g
-  FROM entries JOIN totals USING (token_id) GROUP BY token_id),
-scored AS (
-  SELECT ordinal, token_id, n AS records, round(ln(1 + CAST(weight AS DOUBLE)) * g, 6) AS score FROM entries JOIN spread USING (token_id))
-SELECT ordinal, token_id, records, CAST(r AS INT) AS rank_no, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY score DESC, token_id) AS r FROM scored) WHERE r <= 10""",
-    "p1_scores": f"""
-WITH {_USABLE},
-totals AS (SELECT token_id, count(*) AS n, sum(CAST(weight AS DOUBLE)) AS total FROM entries GROUP BY token_id),
 spread AS (
   SELECT token_id, any_value(n) AS n, 1 + sum(weight / total * ln(weight / total)) / ln((SELECT count(*) FROM index_docs)) AS g
   FROM entries JOIN totals USING (token_id) GROUP BY token_id),

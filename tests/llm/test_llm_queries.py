@@ -19,7 +19,7 @@ def test_query_runs(spark, data, name):
 
 def test_every_entry_has_a_score(spark, data):
     entries = termweights.usable_entries(spark.read.parquet(f"{data}/index_docs.parquet"), "ordinal", "token_ids", "weights")
-    scored = QUERIES["p1_scores"](spark, data).collect()
+    scored = QUERIES["p1_log_entropy"](spark, data).collect()
     assert {(r.ordinal, r.token_id) for r in scored} == {(r.record, r.token_id) for r in entries.collect()}
     assert len(scored) > 10 * len({r.ordinal for r in scored})
 
