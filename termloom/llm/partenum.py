@@ -24,12 +24,14 @@ any set is fetched, then verified on the full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from fractions import Fraction
 from itertools import combinations
 from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,38 +185,23 @@ TOKEN_SCHEMA = "token bigint, id bigint, size int, b0 bigint, b1 bigint"
 _MAP = ["b0", "b1"]
 
 
-def signatures(sets: DataFrame, threshold: float, rarity: bytes, batch: bytes | None = None, *, held: bytes | None = None, all_features: bool = False) -> DataFrame:
+def signatures(sets: DataFrame, threshold: float, order: Broadcast, *, all_features: bool = False) -> DataFrame:
     """(id, features) -> one row per signature, with the set's size and parity map.
 
-    ``rarity``: counters over the collection, which give the order.  A feature that these count
-    once occurs in no second set and gives no signature; with ``batch``, counters over new sets
-    that are not yet in the collection, a feature is dropped if the collection lacks it and the
-    new sets hold it once.  ``held``: counters over the whole collection, where ``rarity`` counts
-    only a part of it.  ``all_features``: drop none, as sets still unknown may hold them.
+    ``order``: the broadcast counters of :func:`rarity_table`.  A feature that these count once
+    occurs in no second set and gives no signature, unless ``all_features`` are wanted, as sets
+    still unknown may hold them.
     """
-    sc = sets.sparkSession.sparkContext
-    order = sc.broadcast(rarity)
-    fresh = sc.broadcast(batch) if batch is not None else None
-    whole = order if held is None or held is rarity else sc.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Signatures(threshold)
         levels = np.frombuffer(order.value, dtype=np.uint8)
-        in_whole = np.frombuffer(whole.value, dtype=np.uint8)
-        among_new = np.frombuffer(fresh.value, dtype=np.uint8) if fresh is not None else None
         for batch in batches:
             tokens, counts, ids, sizes, maps = [], [], [], [], []
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 features = np.frombuffer(data, dtype=np.uint64)
-                at = (features >> _SHIFT).astype(np.int64)
-                level = levels[at]
-                if all_features:
-                    shared = np.ones(len(features), dtype=bool)
-                elif among_new is None:
-                    shared = level > 1
-                else:
-                    shared = (in_whole[at] > 0) | (among_new[at] > 1)
-                own = make.of(features, level, shared)
+                level = levels[(features >> _SHIFT).astype(np.int64)]
+                own = make.of(features, level, np.ones(len(features), dtype=bool) if all_features else level > 1)
                 tokens.append(own)
                 counts.append(len(own))
                 ids.append(i)
@@ -236,9 +223,11 @@ def signatures(sets: DataFrame, threshold: float, rarity: bytes, batch: bytes |
     return sets.select("id", "features").mapInArrow(run, TOKEN_SCHEMA)
 
 
-def meeting(signed: DataFrame, tokens: DataFrame, bits: int = 24) -> DataFrame:
+@contextmanager
+def meeting(signed: DataFrame, tokens: DataFrame, bits: int = 24) -> Iterator[DataFrame]:
     """The rows of ``signed`` whose token may occur in ``tokens``, by a bitmap of fixed size
-    (2 MB): cheap to broadcast, and what it lets through wrongly, the join drops."""
+    (2 MB): cheap to broadcast, and what it lets through wrongly, the join drops.  The bitmap is
+    given up at the end of the ``with`` block."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros(1 << bits, dtype=bool)
@@ -254,12 +243,15 @@ def meeting(signed: DataFrame, tokens: DataFrame, bits: int = 24) -> DataFrame:
     known = signed.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.unpackbits(np.frombuffer(known.value, dtype=np.uint8)).view(bool)
+        bitmap = np.frombuffer(known.value, dtype=np.uint8)
         for batch in batches:
             at = (mix64(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-            yield batch.filter(pa.array(bitmap[at]))
+            yield batch.filter(pa.array((bitmap[at >> 3] << (at & 7).astype(np.uint8)) & 128 > 0))
 
-    return signed.select("token", "id", "size", *_MAP).mapInArrow(keep, TOKEN_SCHEMA)
+    try:
+        yield signed.select("token", "id", "size", *_MAP).mapInArrow(keep, TOKEN_SCHEMA)
+    finally:
+        known.destroy()
 
 
 def _near_enough(a: DataFrame, b: DataFrame, g: Fraction) -> Column:
@@ -348,6 +340,8 @@ def similar_sets(profiles: DataFrame, threshold: float) -> DataFrame:
     ``profiles`` is a stored table (id, s1, s2, features); ids are unique.
     """
     held = profiles.where("features is not null")
-    signed = store(signatures(distinct_sets(profiles), threshold, rarity_table(held)), "signatures")
+    order = profiles.sparkSession.sparkContext.broadcast(rarity_table(held))
+    signed = store(signatures(distinct_sets(profiles), threshold, order), "signatures")
+    order.destroy()
     candidates = meet(signed, signed, threshold, lambda x, y: x < y)
     return verified(candidates, held.select("id", "features"), threshold)

@@ -10,6 +10,7 @@ import pytest
 from termloom.llm import formdup, history, neardup, partenum, profiles
 from termloom.llm import textform as tf
 from termloom.plans.lineage import shared_dir
+from termloom.sources.files import Files
 
 
 def test_folding_words_and_forms():
@@ -301,3 +302,22 @@ def test_scanned_words_and_shingles_against_brute_force(monkeypatch):
                 at += size
     assert len(set(hash_of.values())) == len(hash_of) and len({tuple(d) for d in letters_of.values()}) == len(letters_of)
     assert [len(x) for x in tf.scan([])] == [0, 0, 0]
+
+
+def test_runs_are_merged_and_given_up(spark, monkeypatch):
+    monkeypatch.setattr(history, "MOST_RUNS", 1)
+    text = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    frame = lambda *rows: spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    path = f"{shared_dir(spark)}/h-{uuid.uuid4().hex}"
+    h = history.History.create(spark, path, frame((0, "a", text("o", 30)), (1, "a2", text("p", 30))), "n", "doc_id", "text", shingle=3, threshold=0.6)
+    # the set of 1 and 2 is written with 1, which is refused by its identifier
+    known, batch = h.check(frame((1, "A", text("v", 30)), (2, "b", text("v", 30)), (3, "c", None), (4, "d", text("q", 30))), "n")
+    assert {tuple(r) for r in known.collect()} == {(1, "doc_id")}
+    h.absorb(known, batch)
+    assert len(h.runs) == 1 and sorted(n for n in Files(spark).list(path) if n.startswith("run-")) == [h.runs[0].rsplit("/", 1)[1]]
+    three = frame((5, "e", text("o", 29)), (6, "f", text("v", 29)), (7, "C ", "new"), (8, "g", text("q", 30).upper()), (9, "h", text("w", 30)), (10, "i", text("w", 29)))
+    expected = {(5, "near"), (6, "near"), (7, "doc_id"), (8, "copy"), (10, "near")}
+    assert {tuple(r) for r in h.check(three, "n")[0].collect()} == expected
+    h.compact()
+    assert {tuple(r) for r in history.History.open(spark, path).check(three, "n")[0].collect()} == expected
+    assert sum(n.startswith("order-") for n in Files(spark).list(path)) == 1
