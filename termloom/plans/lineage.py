@@ -30,9 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame, name: str = "table") -> DataFrame:
-    """Like :func:`cut`, as Parquet: later reads prune columns and push filters down."""
+def store(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
+    """Like :func:`cut`, as Parquet: later reads prune columns and push filters down.  ``path``
+    names a folder of one's own, to be deleted after use."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,14 +25,12 @@ from pyspark.sql import functions as F
 from termloom import schema as S
 from termloom.functions import vectors
 from termloom.functions.encoders import Encoder, model_id_of
-from termloom.plans.positions import greedy_groups, numbered
+from termloom.plans.positions import grouped, staged
 from termloom.sources.files import Files
 
 FORMAT = "1.0"
 MIB = 1024 * 1024
 DEFAULT_SHARD_MB = 32
-#: group numbers of batches up to this many rows are broadcast, those of larger ones joined
-BROADCAST_ROWS = 100_000
 
 
 def segment_hashes(docs: DataFrame) -> DataFrame:
@@ -219,27 +217,25 @@ class SparseIndex:
         rows = vectors.normalised(docs.select(*columns))
         rows = rows.withColumn("metadata", F.coalesce("metadata", F.create_map().cast(S.METADATA)))
         rows = rows.withColumn("norm", vectors.norm(F.col("weights"))).withColumn("n_bytes", S.logical_bytes())
-        rows, n = numbered(rows, "ordinal", first)
-        groups = greedy_groups(rows.select("ordinal", "n_bytes"), target).select("ordinal", "group_no")
-        if n <= BROADCAST_ROWS:
-            placed = rows.join(F.broadcast(groups), "ordinal")  # the rows stay where they are
-        else:
-            placed = rows.join(groups, "ordinal").repartitionByRange("ordinal")
-        placed = placed.withColumnRenamed("group_no", "segment_no")
+        aside = f"{self.path}/staged-{generation}"
+        placed, n = grouped(staged(rows, aside), target, group="segment_no", order="ordinal", start=first)
         names = [f.name for f in S.STORED]
         out = f"{self.path}/docs/generation={generation}"
         if n:
             # tasks hold ranges of the scan order, so a segment is a few sorted files
             placed.select(*names).sortWithinPartitions("segment_no", "ordinal").write.partitionBy("segment_no").parquet(out)
-            stored = self.spark.read.schema(S.STORED).option("basePath", out).parquet(out)
-            pairs = stored.select("ordinal", "norm", F.explode(F.arrays_zip(F.col("token_ids").alias("t"), F.col("weights").alias("w"))).alias("e"))
-            postings = pairs.select(F.col("e.t").alias("token_id"), "ordinal", F.col("e.w").alias("weight"), "norm")
-            postings.repartitionByRange("token_id", "ordinal").sortWithinPartitions("token_id", "ordinal").write.parquet(f"{self.path}/postings/generation={generation}")
-            segments = [r.asDict() | {"generation": generation} for r in segment_hashes(stored).orderBy("segment_no").collect()]
-        else:
-            segments = []
+        self.files.delete(aside)
+        segments = self._write_postings(out, generation) if n else []
         return {"generation": generation, "next_ordinal": first + n, "segments": segments}
 
+    def _write_postings(self, docs: str, generation: str) -> list[dict]:
+        """The postings of stored documents, sorted by token; returns their segments."""
+        stored = self.spark.read.schema(S.STORED).option("basePath", docs).parquet(docs)
+        pairs = stored.select("ordinal", "norm", F.explode(F.arrays_zip(F.col("token_ids").alias("t"), F.col("weights").alias("w"))).alias("e"))
+        postings = pairs.select(F.col("e.t").alias("token_id"), "ordinal", F.col("e.w").alias("weight"), "norm")
+        postings.repartitionByRange("token_id", "ordinal").sortWithinPartitions("token_id", "ordinal").write.parquet(f"{self.path}/postings/generation={generation}")
+        return [r.asDict() | {"generation": generation} for r in segment_hashes(stored).orderBy("segment_no").collect()]
+
     def _publish(self, changes: dict) -> None:
         manifest = self.manifest | changes
         manifest["commit"] += 1

@@ -1,11 +1,11 @@
 import warnings
 
 import pytest
+from pyspark.sql import functions as F
 
 from termloom import Document, SparseIndex, SparseRetriever
 from termloom.functions.encoders import LexicalEncoder
 from termloom.schema import DOCUMENT
-from termloom.sources import store
 from termloom.sources.files import Files
 
 DOCS = [
@@ -162,12 +162,11 @@ def test_missing_parts_warn_or_raise(spark, tmp_path):
         index.snapshot().documents(strict=True)
 
 
-def test_segments_follow_the_greedy_rule_at_every_size(spark, tmp_path, monkeypatch):
+def test_segments_follow_the_greedy_rule_however_rows_are_spread(spark, tmp_path):
     docs = spark.createDataFrame([(f"d{i}", "x" * (1 + 37 * i % 300), {}, [i], [1.0]) for i in range(60)], DOCUMENT).coalesce(1)
     segments = []
-    for rows in (100, 10):
-        monkeypatch.setattr(store, "BROADCAST_ROWS", rows)
-        with SparseIndex(spark, str(tmp_path / f"ix{rows}"), shard_size_mb=0.0005) as index:
-            index.add_batch(docs)
+    for parts in (1, 9):
+        with SparseIndex(spark, str(tmp_path / f"ix{parts}"), shard_size_mb=0.0005) as index:
+            index.add_batch(docs.withColumn("n", F.monotonically_increasing_id()).repartitionByRange(parts, "n").sortWithinPartitions("n"))
         segments.append([(s["segment_id"], s["num_docs"]) for s in index.manifest["segments"]])
     assert segments[0] == segments[1] and len(segments[0]) > 3

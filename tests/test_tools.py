@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom import cli
 from termloom.plans.lineage import cut, store
-from termloom.plans.positions import approximate_groups, greedy_groups, with_positions
+from termloom.plans.positions import greedy_groups, grouped, staged, with_positions
 from termloom.sources import ingest
 from termloom.sources.store import SparseIndex
 from termloom.streaming.sink import index_stream, stream_documents
@@ -30,14 +30,30 @@ def _greedy(sizes, target):
     return out
 
 
-@pytest.mark.parametrize("sizes", [[6, 6, 3, 3, 6, 20, 1, 1], [], [100], [0, 0, 0, 10, 0], list(np.random.default_rng(1).integers(0, 9, 500))])
-def test_greedy_groups(spark, sizes):
-    df = spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "ordinal bigint, n_bytes bigint")
-    found = [r.group_no for r in greedy_groups(df.repartition(3), 10).orderBy("ordinal").collect()]
-    assert found == _greedy(sizes, 10)
-    rough = approximate_groups(df, 10, range_rows=50).orderBy("ordinal").collect()
-    before = np.cumsum([0, *sizes])[:-1] if sizes else []
-    assert [r.group_no for r in rough] == [int(b) // 10 for b in before]
+_SIZES = np.random.default_rng(1)
+
+
+@pytest.mark.parametrize(
+    ("sizes", "target"),
+    [
+        ([6, 6, 3, 3, 6, 20, 1, 1], 10), ([], 10), ([100], 10), ([0, 0, 0, 10, 0], 10), ([None, 7, 3, 0, 4], 7), ([5] * 300, 45),
+        (list(_SIZES.integers(0, 9, 500)), 1), (list(_SIZES.integers(0, 9, 500)), 5000), (list(_SIZES.integers(0, 90, 400)), 300),
+    ],
+)
+def test_greedy_groups(spark, sizes, target):
+    df = spark.createDataFrame([(i, None if s is None else int(s)) for i, s in enumerate(sizes)], "ordinal bigint, n_bytes bigint")
+    found = [r.group_no for r in greedy_groups(df.repartition(3), target).orderBy("ordinal").collect()]
+    assert found == _greedy([s or 0 for s in sizes], target)
+
+
+def test_rows_are_grouped_and_numbered_in_their_order(spark):
+    sizes = list(np.random.default_rng(2).integers(0, 30, 400))
+    rows = spark.range(0, 400, 1, 17).select("id", F.element_at(F.lit([int(s) for s in sizes]), F.col("id").cast("int") + 1).alias("n_bytes"))
+    placed, n = grouped(staged(rows), 100, order="ordinal", start=7)
+    assert n == 400 and sorted((r.id, r.ordinal - 7, r.group_no) for r in placed.collect()) == [(i, i, g) for i, g in enumerate(_greedy(sizes, 100))]
+    assert "Exchange hashpartitioning" not in placed._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        grouped(staged(rows), 0)
 
 
 def test_store_and_cut(spark):
