@@ -23,10 +23,10 @@ any set is fetched, then verified on the full sets.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from contextlib import contextmanager
 from fractions import Fraction
-from itertools import combinations
 from math import ceil, comb
 
 import numpy as np
@@ -100,46 +100,68 @@ class Signatures:
             self.plans.append(plan(max(low, int(Fraction(low) / self.g)), self.g))
         return int(np.searchsorted(self.uppers, size))
 
-    def coarse(self, features: np.ndarray, band: int, shape: tuple[int, int, int]) -> np.ndarray:
+    def coarse(self, features: np.ndarray, owner: np.ndarray, n: int, band: int, shape: tuple[int, int, int]) -> np.ndarray:
+        """One row of signatures for each of ``n`` sets, ``owner`` being the set of each feature."""
         n1, n2, k2 = shape
         if (n2, k2) not in self.masks:
-            subsets = list(combinations(range(n2), n2 - k2))
+            subsets = list(itertools.combinations(range(n2), n2 - k2))
             mask = np.zeros((len(subsets), n2), dtype=np.uint64)
             for i, s in enumerate(subsets):
                 mask[i, list(s)] = 1
             self.masks[n2, k2] = mask
-        cells = np.zeros(n1 * n2, dtype=np.uint64)
+        parts = n1 * n2
+        cells = np.zeros(n * parts, dtype=np.uint64)
         spread = mix64(features ^ np.uint64(0xC2B2AE3D27D4EB4F))
-        np.add.at(cells, (spread % np.uint64(n1 * n2)).astype(np.int64), mix64(features))
-        sums = cells.reshape(n1, n2) @ self.masks[n2, k2].T
-        place = np.arange(sums.size, dtype=np.uint64) + np.uint64((band + 1) << 32)
-        return mix64(sums.ravel() + mix64(place))
-
-    def finest(self, features: np.ndarray, rarity: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        """``rarity`` orders the features; those not ``shared`` occur in no other set."""
-        n = len(features)
-        prefix = n - ceil(self.g * n) + 1
-        order = np.lexsort((features, rarity))[:prefix]
-        return features[order][shared[order]]
+        np.add.at(cells, owner * parts + (spread % np.uint64(parts)).astype(np.int64), mix64(features))
+        sums = (cells.reshape(n, n1, n2) @ self.masks[n2, k2].T).reshape(n, -1)
+        place = np.arange(sums.shape[1], dtype=np.uint64) + np.uint64((band + 1) << 32)
+        return mix64(sums + mix64(place))
+
+    def kinds(self, size: int) -> tuple[list[tuple[int, tuple[int, int, int]]], bool]:
+        """(the bands with parts and their plans, whether the finest partitioning is needed) for
+        sets of a size: its own band and the next one."""
+        band = self.band_of(size)
+        shapes = [(at, self.plans[at]) for at in (band, band + 1)]
+        return [(at, shape) for at, shape in shapes if shape is not None], any(shape is None for _, shape in shapes)
+
+    def of_many(self, features: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(signatures, the number of the set each belongs to) of sets that stand one after the
+        other, each sorted.  ``rarity`` (one byte) orders the features; those not ``shared`` occur
+        in no other set."""
+        distinct, which = np.unique(sizes, return_inverse=True)
+        kinds = [self.kinds(int(n)) for n in distinct]
+        starts = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        needed = -(-sizes * self.g.numerator // self.g.denominator)
+        enumerated = np.where(np.array([fine for _, fine in kinds], dtype=bool)[which], sizes - needed + 1, 0)
+        order = np.argsort((owner << 8) | rarity, kind="stable")  # by set, rarity, feature
+        chosen = order[np.arange(len(features)) - starts[owner] < enumerated[owner]]
+        chosen = chosen[shared[chosen]]
+        tokens, owners = [features[chosen]], [owner[chosen]]
+        planned: dict[tuple[int, tuple[int, int, int]], list[int]] = {}
+        for k, (shapes, _) in enumerate(kinds):
+            for shape in shapes:
+                planned.setdefault(shape, []).append(k)
+        for (band, shape), of_kind in planned.items():
+            sets = np.flatnonzero(np.isin(which, of_kind))
+            member = np.full(len(sizes), -1)
+            member[sets] = np.arange(len(sets))
+            inside = np.flatnonzero(member[owner] >= 0)
+            rows = self.coarse(features[inside], member[owner[inside]], len(sets), band, shape)
+            tokens.append(rows.ravel())
+            owners.append(np.repeat(sets, rows.shape[1]))
+        return np.concatenate(tokens), np.concatenate(owners)
 
     def of(self, features: np.ndarray, rarity: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        band = self.band_of(len(features))
-        out, fine = [], False
-        for at in (band, band + 1):
-            shape = self.plans[at]
-            if shape is None:
-                fine = True
-            else:
-                out.append(self.coarse(features, at, shape))
-        if fine:
-            out.append(self.finest(features, rarity, shared))
-        return np.unique(np.concatenate(out))
+        """The sorted signatures of one set."""
+        return np.unique(self.of_many(features, np.array([len(features)]), rarity, shared)[0])
 
 
-def parity_map(features: np.ndarray) -> np.ndarray:
-    """128 bits, each the parity of the features hashed to it, as two signed integers."""
-    bits = np.bincount((features & np.uint64(127)).astype(np.int64), minlength=128) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def parity_maps(features: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Per set 128 bits, each the parity of the features hashed to it, as two signed integers."""
+    at = owner * 128 + (features & np.uint64(127)).astype(np.int64)
+    bits = (np.bincount(at, minlength=128 * n) & 1).astype(np.uint8)
+    return np.packbits(bits.reshape(n, 128), axis=1).view(np.int64)
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,28 +219,19 @@ def signatures(sets: DataFrame, threshold: float, order: Broadcast, *, all_featu
         make = Signatures(threshold)
         levels = np.frombuffer(order.value, dtype=np.uint8)
         for batch in batches:
-            tokens, counts, ids, sizes, maps = [], [], [], [], []
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                features = np.frombuffer(data, dtype=np.uint64)
+            data = batch.column(1).to_pylist()
+            sizes = np.array([len(x) // 8 for x in data], dtype=np.int64)
+            ids = batch.column(0).to_numpy()
+            # about a million features at a time
+            for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(np.cumsum(sizes) >> 20)) + 1).tolist(), len(data)]):
+                if a == b:
+                    continue
+                features, own = np.frombuffer(b"".join(data[a:b]), dtype=np.uint64), sizes[a:b]
                 level = levels[(features >> _SHIFT).astype(np.int64)]
-                own = make.of(features, level, np.ones(len(features), dtype=bool) if all_features else level > 1)
-                tokens.append(own)
-                counts.append(len(own))
-                ids.append(i)
-                sizes.append(len(features))
-                maps.append(parity_map(features))
-            if not ids:
-                continue
-            maps_ = np.repeat(np.array(maps), counts, axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(tokens).view(np.int64)),
-                    pa.array(np.repeat(np.array(ids, dtype=np.int64), counts)),
-                    pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts)),
-                    *(pa.array(np.ascontiguousarray(maps_[:, c])) for c in range(2)),
-                ],
-                names=["token", "id", "size", *_MAP],
-            )
+                tokens, owner = make.of_many(features, own, level, np.ones(len(features), dtype=bool) if all_features else level > 1)
+                maps = parity_maps(features, np.repeat(np.arange(b - a), own), b - a)[owner]
+                columns = [tokens.view(np.int64), ids[a:b][owner], own[owner].astype(np.int32), *(np.ascontiguousarray(maps[:, c]) for c in range(2))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "id", "size", *_MAP])
 
     return sets.select("id", "features").mapInArrow(run, TOKEN_SCHEMA)
 
